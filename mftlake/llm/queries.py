@@ -1,11 +1,14 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, simhash
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op3_benchmark_decontamination": decontaminate.OP3_SQL,
 }
