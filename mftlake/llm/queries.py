@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import decontaminate, exact_dedup, pii, secrets, sentencepiece_codec, simhash, toxicity
+from . import ctw, decontaminate, exact_dedup, pii, secrets, sentencepiece_codec, simhash, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
+    "op10_lm_score": ctw.op10_lm_score,
 }
 
 ORACLES = {
