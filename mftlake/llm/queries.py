@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import ctw, decontaminate, exact_dedup, pii, secrets, sentencepiece_codec, simhash, toxicity
+from . import chat_format, ctw, decontaminate, exact_dedup, pii, secrets, sentencepiece_codec, simhash, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op4_chat_format": chat_format.op4_chat_format,
     "op5_pii": pii.op5_pii,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_secret_scan": secrets.op7_secret_scan,
