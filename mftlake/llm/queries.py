@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import chat_format, ctw, decontaminate, exact_dedup, pii, secrets, sentencepiece_codec, simhash, toxicity
+from . import chat_format, ctw, decontaminate, exact_dedup, line_dedup, pii, secrets, sentencepiece_codec, simhash, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_chat_format": chat_format.op4_chat_format,
