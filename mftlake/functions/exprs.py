@@ -113,26 +113,33 @@ def path_volume(path: Column) -> Column:
     return F.upper(F.regexp_extract(path, r'^["\s]*([A-Za-z])\s*:', 1))
 
 
-def hex_lines(raw: Column, limit: int = 16_384, width: int = 16) -> Column:
-    """Array of (offset, hex, ascii), one for every ``width`` bytes of the first ``limit``; none for an empty binary.
+def line_offsets(raw: Column, limit: int = 16_384, width: int = 16) -> Column:
+    """Where the hex lines of the first ``limit`` bytes begin; none for an empty binary."""
+    n = F.least(F.octet_length(raw), F.lit(limit))
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(width))).otherwise(F.array().cast("array<int>"))
+
+
+def hex_line(raw: Column, at: Column, limit: int = 16_384, width: int = 16) -> tuple[Column, Column, Column]:
+    """(offset, hex, ascii) of the line of a hex dump that begins at ``at``.
 
     Offsets have four digits at least, a dash parts the halves of a line, bytes outside printable ASCII are dots, and
     a short last line is padded by FF.
     """
-    head = F.substring(raw, 1, limit)
-    n = F.octet_length(head)
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(width))).otherwise(F.array().cast("array<int>"))
+    part = F.substring(raw, at + 1, F.least(F.lit(width), F.lit(limit) - at))
+    digits = F.rpad(F.hex(part), 2 * width, "F")
+    spaced = lambda s: F.rtrim(F.regexp_replace(s, "(..)", "$1 "))
+    text = F.concat(spaced(F.substring(digits, 1, width)), F.lit(" - "), spaced(F.substring(digits, width + 1, width)))
+    letters = F.rpad(F.regexp_replace(F.decode(part, "ISO-8859-1"), r"[^\x20-\x7E]", "."), width, ".")
+    return F.when(at <= 0xFFFF, F.lpad(F.hex(at), 4, "0")).otherwise(F.hex(at)), text, letters
+
+
+def hex_lines(raw: Column, limit: int = 16_384, width: int = 16) -> Column:
+    """Array of the hex lines (offset, hex, ascii) of the first ``limit`` bytes."""
 
     def line(at: Column) -> Column:
-        digits = F.rpad(F.hex(F.substring(head, at + 1, width)), 2 * width, "F")
-        spaced = lambda s: F.rtrim(F.regexp_replace(s, "(..)", "$1 "))
-        text = F.concat(spaced(F.substring(digits, 1, width)), F.lit(" - "), spaced(F.substring(digits, width + 1, width)))
-        octets = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.conv(F.substring(digits, i * 2 - 1, 2), 16, 10).cast("int"))
-        letters = F.transform(octets, lambda b: F.when(b.between(32, 126), F.char(b)).otherwise(F.lit(".")))
-        label = F.when(at <= 0xFFFF, F.lpad(F.hex(at), 4, "0")).otherwise(F.hex(at))
-        return F.struct(label.alias("offset"), text.alias("hex"), F.array_join(letters, "").alias("ascii"))
-
-    return F.transform(places, line)
+        return F.struct(*(c.alias(n) for c, n in zip(hex_line(raw, at, limit, width), ("offset", "hex", "ascii"))))
+
+    return F.transform(line_offsets(raw, limit, width), line)
 
 
 def slice_bytes(raw: Column, offset: Column, length: Column) -> Column:

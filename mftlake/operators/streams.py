@@ -69,8 +69,9 @@ def find_stream(attributes: DataFrame, name: str | None = None, data_slot: int =
 
 def hexdump(streams: DataFrame, key: str, limit: int = 16_384) -> DataFrame:
     """Lines of the hex dump of the first ``limit`` bytes of each stream."""
-    lines = streams.select(key, F.posexplode(X.hex_lines(F.col("bytes"), limit)).alias("line_no", "line"))
-    return lines.select(key, F.col("line_no").cast("bigint").alias("line_no"), "line.offset", "line.hex", "line.ascii")
+    rows = streams.select(key, "bytes", F.explode(X.line_offsets(F.col("bytes"), limit)).alias("_at"))
+    offset, text, letters = X.hex_line(F.col("bytes"), F.col("_at"), limit)
+    return rows.select(key, F.expr("_at div 16").alias("line_no"), offset.alias("offset"), text.alias("hex"), letters.alias("ascii"))
 
 
 def clusters_free(requests: DataFrame, bitmap: DataFrame) -> DataFrame:
