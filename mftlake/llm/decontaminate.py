@@ -109,17 +109,23 @@ def without_spans(text: Column, spans: Column) -> Column:
     lowered = ascii_lower(F.coalesce(text, F.lit("")))
     word = F.regexp_extract_all(lowered, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"), F.lit(0))
     lead = F.length(F.regexp_extract(lowered, r"\A" + GAP, 0))
-    ends = F.aggregate(word, F.array(lead), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + F.length(w))))
-    kept = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.struct(
-            F.get(ends, x["_to"]).alias("at"),
-            F.concat(s["out"], F.substring(text, s["at"] + 1, F.get(ends, x["_from"]) - s["at"])).alias("out"),
-        ),
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, kept).otherwise(text)
+
+    def kept(sizes: Column) -> Column:
+        """One walk over the spans: each adds up the words since the last one, so that a text takes linear time."""
+        over = lambda begin, end: F.aggregate(F.slice(sizes, begin + 1, end - begin), F.lit(0), lambda n, x: n + x)
+        return F.aggregate(
+            spans,
+            F.struct(F.lit(0).alias("word"), lead.alias("at"), F.lit(0).alias("done"), F.array().cast("array<string>").alias("out")),
+            lambda s, x: F.struct(
+                x["_to"].alias("word"),
+                (s["at"] + over(s["word"], x["_to"])).alias("at"),
+                (s["at"] + over(s["word"], x["_to"])).alias("done"),
+                F.concat(s["out"], F.array(F.substring(text, s["done"] + 1, s["at"] + over(s["word"], x["_from"]) - s["done"]))).alias("out"),
+            ),
+            lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["done"] + 1, F.length(text))),
+        )
+
+    return F.when(F.size(spans) > 0, F.get(F.transform(F.array(F.transform(word, lambda w: F.length(w))), kept), F.lit(0))).otherwise(text)
 
 
 def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_items: int = 2, **options) -> DataFrame:
