@@ -10,6 +10,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +62,12 @@ class OrdinalModel:
         near = Counter({w: n for w, n in words(text).items() if w[:first] in heads})
         return sum(self.weights[f] * math.log1p(n) for f, n in features(near).items() if f in self.weights) if near else 0.0
 
+    @property
+    def toxic_from(self) -> float:
+        """P(grade > 0) from which a text counts as toxic: TOXIC_FROM, and well above that of a text without any feature."""
+        plain = 1 - float(self.at_most(0.0)[0])
+        return max(TOXIC_FROM, plain + (1 - plain) / 10) if self.weights else 0.5
+
     def at_most(self, score: float) -> np.ndarray:
         """P(grade <= k) for every k below the highest grade."""
         return 1 / (1 + np.exp(np.clip(score - np.array(self.thresholds), -60, 60)))
@@ -187,7 +194,11 @@ def grade(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col:
     Null and empty texts have no features and score zero. Other columns travel in ``_row``. An empty table gives no rows.
     """
     rows = packed(df, _id=id_col, _text=text_col).withColumn("_text", F.col("_text").cast("string"))
-    score = F.udf(lambda text: model.score(text), T.DoubleType(), useArrow=True)
+
+    @F.arrow_udf(T.DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(t.as_py()) for t in texts], pa.float64())
+
     scored = rows.select("_row", "_id", score("_text").alias("_z"))
     over = [1 / (1 + F.exp(F.lit(float(c)) - F.col("_z"))) for c in model.thresholds]
     share = [1 - over[0], *(a - b for a, b in zip(over, over[1:])), over[-1]]
@@ -195,9 +206,10 @@ def grade(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col:
     return scored.select("_row", "_id", sum(over[1:], over[0]).alias("_severity"), over[0].alias("_p_toxic"), likeliest.alias("_grade"))
 
 
-def drop_toxic(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = TOXIC_FROM) -> DataFrame:
-    """The rows of ``df`` taken as clean: P(grade > 0) below ``threshold``."""
-    return unpacked(grade(df, model, id_col, text_col).filter(F.col("_p_toxic") < threshold), df.columns)
+def drop_toxic(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None) -> DataFrame:
+    """The rows of ``df`` taken as clean: P(grade > 0) below ``threshold``, by default the model's own."""
+    limit = model.toxic_from if threshold is None else threshold
+    return unpacked(grade(df, model, id_col, text_col).filter(F.col("_p_toxic") < limit), df.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,5 +220,5 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("_severity", 6).alias("severity"),
         F.col("_grade").alias("grade"),
         F.round("_p_toxic", 6).alias("p_toxic"),
-        (F.col("_p_toxic") >= TOXIC_FROM).alias("toxic"),
+        (F.col("_p_toxic") >= model.toxic_from).alias("toxic"),
     )
