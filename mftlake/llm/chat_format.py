@@ -59,6 +59,8 @@ LAYOUTS: dict[str, tuple[list[str], list[dict]]] = {
 }
 #: fingerprint -> (layout, its declarative mapping)
 MAPPINGS = {fingerprint(p): (name, mapping) for name, (p, mapping) in LAYOUTS.items()}
+#: paths that bear a conversation; a record's other paths do not count for its layout
+BEARING = {p for field_paths, _ in LAYOUTS.values() for p in field_paths}
 #: other names of the canonical roles, for mappings that rename (fixed values)
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
 
@@ -103,11 +105,12 @@ def canonical_turns(df: DataFrame, record_col: str = "record") -> DataFrame:
 
     A struct column has one layout, whose fingerprint is taken from its type. Records in JSON may each have their own: their
     paths come from each record's own schema, and the fingerprint picks the mapping row by row. Records of no known
-    layout, nulls and malformed JSON have a null ``_layout`` and null ``_turns``.
+    layout, nulls and malformed JSON have a null ``_layout`` and null ``_turns``. Fields that no layout reads (an id, a source) do not
+    matter; one that another layout reads does, so that no turn of a mixed record is lost unsaid.
     """
     kind = df.schema[record_col].dataType
     if isinstance(kind, T.StructType):
-        name, mapping = MAPPINGS.get(fingerprint(paths(kind)), (None, None))
+        name, mapping = MAPPINGS.get(fingerprint([p for p in paths(kind) if p in BEARING]), (None, None))
         if mapping is None:
             return df.withColumn("_layout", F.lit(None).cast("string")).withColumn("_turns", F.lit(None).cast(TURNS))
         there = F.col(record_col).isNotNull()
@@ -135,7 +138,7 @@ def _json_type(mapping: list[dict]) -> T.StructType:
 
 
 def _print_of_ddl(ddl: str | None) -> str | None:
-    """Fingerprint of a variant's schema as text: OBJECT<name: TYPE, ...>, ARRAY<TYPE> or a plain type."""
+    """Fingerprint of the conversation-bearing paths of a variant's schema as text: OBJECT<name: TYPE, ...>, ARRAY<TYPE> or a plain type."""
     if ddl is None:
         return None
     found: list[str] = []
@@ -165,7 +168,7 @@ def _print_of_ddl(ddl: str | None) -> str | None:
         return at
 
     walk(0, "")
-    return fingerprint(found)
+    return fingerprint([p for p in found if p in BEARING])
 
 
 # --- template --------------------------------------------------------------------------------------------------------

@@ -75,3 +75,18 @@ def test_query_equals_brute_force(spark, tmp_path):
     for k, turns in want.items():
         assert got[k]["turns_sha256"] == sha("".join(f"{r}\n{t}\n" for r, t in turns))
         assert got[k]["loss_sha256"] == sha("".join(t for r, t in turns if r == "assistant"))
+
+
+def test_fields_beside_the_conversation_do_not_matter(spark):
+    records = [
+        ({"id": 7, "prompt": "q", "response": "a", "metadata": {"source": "s", "tags": ["x"]}}, "prompt-response"),
+        ({"messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": "a"}], "source": "s"}, "messages"),
+        ({"system": "s", "prompt": "q", "response": "a"}, None),
+    ]
+    rows = [(i, json.dumps(r)) for i, (r, _) in enumerate(records)]
+    got = {r["id"]: r for r in C.canonical_turns(spark.createDataFrame(rows, "id int, record string")).collect()}
+    for i, (_, layout) in enumerate(records):
+        assert got[i]["_layout"] == layout
+        assert (got[i]["_turns"] and [tuple(t) for t in got[i]["_turns"]]) == (layout and [("user", "q"), ("assistant", "a")])
+    typed = spark.createDataFrame([Row(record=Row(id=7, question="q", answer="a"))])
+    assert [tuple(t) for t in C.canonical_turns(typed).first()["_turns"]] == [("user", "q"), ("assistant", "a")]
