@@ -40,12 +40,14 @@ def unpacked(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         context = spark.sparkContext
         found = context._jsc.sc().getCheckpointDir()
         if not found.isDefined():
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
             found = context._jsc.sc().getCheckpointDir()
         folder = found.get()
@@ -56,16 +58,37 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there, and a lost executor costs no work."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._cut = path
+    return table
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table that :func:`cut` wrote and nothing needs any more."""
-    jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
-        if "/cut-" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that :func:`cut` wrote and nothing needs any more."""
+    for df in tables:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df._cut)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: a key is hot from so many rows on, and from this share of all rows (so at most HOT_KEYS keys are)
+HOT_ROWS, HOT_KEYS = 64, 4096
+
+
+def hot_from(total: int) -> int:
+    return max(HOT_ROWS, total // HOT_KEYS + 1)
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """``many`` joined on ``key`` with ``one``, which has every key once and in ``rows`` how many rows of ``many`` have it; ``total`` is their sum.
+
+    Keys with more rows than :func:`hot_from` says, of which there are at most HOT_KEYS, meet their rows where those are; all others shuffle. So
+    no task gets more than its share, however many rows one key has.
+    """
+    limit = hot_from(total)
+    hot = F.broadcast(one.filter(F.col(rows) >= limit))
+    rest = many.join(F.broadcast(one.filter(F.col(rows) >= limit).select(key)), key, "left_anti")
+    return many.join(hot, key).unionByName(rest.join(one.filter(F.col(rows) < limit), key))
 
 
 def ascii_lower(text: Column) -> Column:

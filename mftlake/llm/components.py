@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard
+from .common import cut, discard, spread_join
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node points its larger neighbours at its smallest one."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("_rows"))
+    return spread_join(both, least, "a", "_rows", 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node points its smaller neighbours and itself at the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    joined = edges.join(least, "a")
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_rows"))
+    joined = spread_join(edges, least, "a", "_rows", total)
     return joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -30,16 +30,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b; any order, repeats allowed); root: the smallest node reachable.
 
     Large-star and small-star rounds alternate until nothing changes, which takes a number of rounds that
-    grows with the logarithm of the longest chain. Every round is written to the shared folder; the driver sees two numbers a
-    round. Both rounds aggregate before they join, so a node of any degree is never gathered into one task.
-    No edges: no rows.
+    grows with the logarithm of the longest chain. Every round is written to the shared folder; the driver sees two numbers
+    a round. Minima are aggregated before they shuffle, and those of nodes with many edges are shipped to the
+    edges (see :func:`~.common.spread_join`), so no task holds all edges of a node. No edges: no rows.
+    The result is a table of the shared folder, which :func:`~.common.discard` deletes.
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
     while state[0]:
-        following = cut(_small_star(_large_star(now).distinct()).distinct())
+        # a large star leaves no more edges than there were, both ways
+        following = cut(_small_star(_large_star(now, state[0]).distinct(), 2 * state[0]).distinct())
         discard(now)
         now, before, state = following, state, _state(following)
         if state == before:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    found = cut(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    discard(now)
+    return found
