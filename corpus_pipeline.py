@@ -6,12 +6,10 @@ stage's docs. All but the last return the columns of ``docs``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from mftlake.llm import decontaminate, exact_dedup, sentencepiece_codec, simhash, toxicity
-from mftlake.llm.common import discard, read, shared_folder
+from mftlake.llm.common import cut, discard, read
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
-        path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        docs = cut(out)
         if before is not None:
             discard(before)
         before = docs
