@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -64,11 +65,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes the files of tables that :func:`cut` wrote and nothing needs any more."""
+    """Deletes the files of tables that :func:`cut` wrote and nothing needs any more, and lets Spark drop the shuffle files behind them."""
     for df in tables:
         jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
         path = jvm.org.apache.hadoop.fs.Path(df._cut)
         path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()  # shuffle files go once the plan that made them has been collected
 
 
 #: a key is hot from so many rows on, and from this share of all rows (so at most HOT_KEYS keys are)
