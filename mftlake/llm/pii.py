@@ -40,12 +40,19 @@ GUARDS = {
     "obfuscated": "contains(t, '[at]') or contains(t, '(at)')",
     "name": r"t rlike '(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\\.?\\x20'",
 }
+#: matches whose places are summed up in one go
+PART = 256
 _DIGITS = "regexp_replace(x.m, '[^0-9]', '')"
 _LUHN = (
     f"aggregate(sequence(1, length({_DIGITS})), 0, (s, i) -> s + if((length({_DIGITS}) - i) % 2 = 1,"
     f" int(substr('0246813579', int(substr({_DIGITS}, i, 1)) + 1, 1)), int(substr({_DIGITS}, i, 1)))) % 10 = 0"
 )
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: the remainder modulo 97 of an account number with its first four characters last and letters as numbers from 10 on
+_MOD97 = (
+    "aggregate(split(concat(substr(replace(x.m, ' ', ''), 5), left(replace(x.m, ' ', ''), 4)), ''), 0,"
+    " (s, c) -> if(c between '0' and '9', (s * 10 + ascii(c) - 48) % 97, (s * 100 + ascii(c) - 55) % 97))"
+)
 #: whether a match counts: the checks of the base kinds, a stricter form of the others
 RULES = {
     "email": "true",
@@ -54,7 +61,7 @@ RULES = {
     "phone": f"length({_DIGITS}) between 9 and 15",
     "national": r"x.m rlike '^(?:\\([0-9]{3}\\) |[0-9]{3}-)[0-9]{3}-[0-9]{4}$'",
     "ssn": "true",
-    "iban": "length(replace(x.m, ' ', '')) between 15 and 34",
+    "iban": f"length(replace(x.m, ' ', '')) between 15 and 34 and {_MOD97} = 1",
     "obfuscated": r"x.m rlike '(?:dot)'",
     "name": r"x.m rlike ' .+ '",
 }
@@ -114,11 +121,16 @@ def _candidates(kind: str) -> str:
         f" transform(split(t, '{pattern}', -1), g -> struct(length(g) as n, lower(right(g, 32)) as c)),"
         " (m, g) -> struct(m, g.n as n, g.c as c))"
     )
-    # split has one part more than there are matches
+    # split has one part more than there are matches; places are summed up within parts of PART matches, which takes linear time
+    step = "(s, z) -> struct(s.at + z.n + length(z.m) as at, concat(s.out, array(struct(z.m as m, z.c as c, s.at + z.n as a, s.at + z.n + length(z.m) as b))) as out)"
+    parted = f"transform(sequence(0, cast((size(f) - 1) div {PART} as int)), i -> slice(f, i * {PART} + 1, {PART}))"
+    begins = (
+        "aggregate(transform(p, q -> aggregate(q, 0, (n, z) -> n + z.n + length(z.m))), struct(0 as at, cast(array() as array<int>) as out),"
+        " (s, n) -> struct(s.at + n as at, concat(s.out, array(s.at)) as out), s -> s.out)"
+    )
     placed = (
-        f"aggregate(filter({zipped}, z -> z.m is not null), struct(0 as at, cast(array() as array<struct<m: string, c: string, a: int, b: int>>) as out),"
-        " (s, z) -> struct(s.at + z.n + length(z.m) as at, concat(s.out, array(struct(z.m as m, z.c as c, s.at + z.n as a, s.at + z.n + length(z.m) as b))) as out),"
-        " s -> s.out)"
+        f"flatten(transform(filter(array(filter({zipped}, z -> z.m is not null)), f -> size(f) > 0), f -> flatten(transform(array({parted}), p -> flatten(zip_with(p, {begins},"
+        f" (q, at) -> aggregate(q, struct(at as at, cast(array() as array<struct<m: string, c: string, a: int, b: int>>) as out), {step}, s -> s.out)))))))"
     )
     vote = (
         f"struct('{kind}' as kind, x.a as a, x.b as b, {RULES[kind]} as holds,"

@@ -46,7 +46,10 @@ def test_base_spans_equal_plain_patterns(spark):
     rng = random.Random(5)
     mail = "p@" + "a." * 20_000 + "b"
     long = {"x" * 200_000: [], "9" * 100_000: [], "a." * 50_000 + "@": [], mail: [("email", 0, len(mail))], "1 " * 60_000: []}
-    texts = [None, "", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8.9", *long] + [made(rng) for _ in range(400)]
+    numbers = " ".join(f"{i % 90 + 10}," for i in range(100_000))
+    long[numbers] = []
+    many = [" ".join(f"é u{i}@b.de, 10.0.{i % 300}.1" for i in range(n)) for n in (255, 256, 257, 1000)]
+    texts = [*many, None, "", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8.9", *long] + [made(rng) for _ in range(400)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["_id"]: [(s["kind"], s["a"], s["b"]) for s in r["_base"]] for r in pii.personal_spans(df).collect()}
     assert len(got) == len(texts)
@@ -80,3 +83,16 @@ def test_em_finds_the_reliable_labelers():
     patterns = [("email", (1, 1, 1, 0), 90), ("email", (1, -1, 1, 0), 60), ("email", (-1, 1, -1, 0), 40), ("email", (-1, -1, -1, 0), 50)]
     model = pii.estimate(patterns)
     assert model.accuracy[0] > 0.9 and model.accuracy[2] > 0.9 and model.accuracy[1] < 0.75
+
+
+def test_account_numbers_are_told_by_their_checksum(spark):
+    from pyspark.sql import functions as F
+
+    def good(text):
+        moved = text.replace(" ", "")[4:] + text.replace(" ", "")[:4]
+        return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+    numbers = ["DE89 3704 0044 0532 0130 00", "DE88 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606", "FR1420041010050500013M02607"]
+    df = spark.createDataFrame([(i, f"account {n}.") for i, n in enumerate(numbers)], "doc_id int, _text string")
+    found = pii._voted(df).select("doc_id", F.expr("filter(_found, x -> x.kind = 'iban')[0]").alias("x")).collect()
+    assert {r["doc_id"]: r["x"]["holds"] for r in found} == {i: good(n) for i, n in enumerate(numbers)}
