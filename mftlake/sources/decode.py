@@ -91,7 +91,8 @@ def record(raw: bytes, record_no: int, sector_size: int) -> Record:
 def attributes(patched: bytes, first: int, mask: int = C.MASK_ALL) -> Iterator[dict]:
     """Attributes of a patched record in the mask, in order. What cannot be read ends the walk with a row of that ``status`` and no type.
 
-    Compressed and encrypted attributes come with status ``unsupported``, as their bytes cannot be read.
+    Compressed and encrypted attributes come with status ``unsupported``, as their bytes cannot be read, and those whose runs cannot be decoded
+    or hold more clusters than the header says with ``bad_runs``.
     """
     at, order = first, 0
     while at + 4 <= len(patched):
@@ -127,6 +128,10 @@ def attributes(patched: bytes, first: int, mask: int = C.MASK_ALL) -> Iterator[d
                     row["status"] = "bad_body"
             elif size >= 64:
                 start, last, runs_at = u(head, 16, 8), u(head, 24, 8), u(head, 32, 2)
+                last -= 1 << 64 if last >> 63 else 0  # -1: no cluster
+                coded, told = runs(head[runs_at:])
+                if told != "ok" or sum(n for n, _ in coded) > last - start + 1:
+                    row["status"] = "bad_runs" if row["status"] == "ok" else row["status"]
                 row |= {"start_vcn": start, "last_vcn": last, "alloc_size": u(head, 40, 8), "data_size": u(head, 48, 8), "ini_size": u(head, 56, 8), "runs": head[runs_at:]}
             else:
                 row["status"] = "bad_body"
@@ -236,10 +241,20 @@ class Volume:
     status: str
 
 
+def _own_list(table: Record, read: Callable[[int, int], bytes], cluster: int) -> Iterator[dict]:
+    """Items of a record's attribute list, wherever its bytes are."""
+    for a in attributes(table.raw, table.fields["attr_offset"]):
+        if a.get("slot") == 1 and a["status"] == "ok":
+            parts = [] if not a["non_resident"] else placed(runs(a["runs"])[0], a["start_vcn"])
+            data = b"".join(read(lcn * cluster, n * cluster) for _, n, lcn in parts if lcn is not None)[: a["data_size"]]
+            yield from attribute_list(data if a["non_resident"] else a["body"])
+
+
 def volume(image: str, read: Callable[[int, int], bytes]) -> Volume:
     """Bootstraps an image through ``read(address, length)``: boot sector, record 0 and its extents, record 3 and its version.
 
-    ``status``: ok, bad_boot, bad_mft (the table cannot be read) or bad_version (before 3).
+    ``status``: ok, bad_boot, bad_mft (the table cannot be read), bad_version (before 3) or partial_mft (some of its extents cannot be found;
+    records beyond those that can are not scanned).
     """
     g = boot(read(0, 512))
     if g.status != "ok":
@@ -252,13 +267,26 @@ def volume(image: str, read: Callable[[int, int], bytes]) -> Volume:
     own = [] if table.status != "ok" else [a for a in attributes(table.raw, table.fields["attr_offset"]) if a.get("slot") == 7 and a["status"] == "ok" and a["non_resident"] and not a["name"]]
     if not own:
         return Volume(image, g, 0, (), (0, 0), "", "bad_mft")
-    extents, size = [], own[0]["data_size"]
-    for a in own:
-        for vcn, clusters, lcn in placed(runs(a["runs"])[0], a["start_vcn"]):
-            if lcn is None:
-                continue
-            first, last = vcn * g.cluster_size // g.record_size, (vcn + clusters) * g.cluster_size // g.record_size
-            extents.append((first, last - first, lcn * g.cluster_size))
+    extents, size = [], max(a["data_size"] for a in own)
+
+    def spread(found: list[dict]) -> None:
+        for a in found:
+            for vcn, clusters, lcn in placed(runs(a["runs"])[0], a["start_vcn"]):
+                if lcn is not None:
+                    first, end = vcn * g.cluster_size // g.record_size, (vcn + clusters) * g.cluster_size // g.record_size
+                    extents.append((first, end - first, lcn * g.cluster_size))
+
+    spread(own)
+    # the rest of a table in many pieces stands in records that the list of record 0 names, each within the pieces before
+    waiting = {i["target_ref"] for i in _own_list(table, read, g.cluster_size) if i["slot"] == 7 and not i["name"]} - {C.MFT}
+    while reached := [(no, address + (no - first) * g.record_size) for no in sorted(waiting) for first, count, address in extents if first <= no < first + count]:
+        for no, address in reached:
+            waiting.discard(no)
+            more = record(read(address, g.record_size), no, g.sector_size)
+            if more.status == "ok":
+                spread([a for a in attributes(more.raw, more.fields["attr_offset"]) if a.get("slot") == 7 and a["status"] == "ok" and a["non_resident"] and not a["name"]])
+    extents.sort()
+    whole = sum(count for _, count, _ in extents) >= size // g.record_size
     records = size // g.record_size
     major = minor = 0
     label = ""
@@ -269,4 +297,4 @@ def volume(image: str, read: Callable[[int, int], bytes]) -> Volume:
                 major, minor = a["body"][8], a["body"][9]
             if a.get("type") == C.TYPE["VOLUME_NAME"]:
                 label = utf16(a.get("body", b""))
-    return Volume(image, g, records, tuple(extents), (major, minor), label, "ok" if major >= 3 else "bad_version")
+    return Volume(image, g, records, tuple(extents), (major, minor), label, "bad_version" if major < 3 else "ok" if whole else "partial_mft")

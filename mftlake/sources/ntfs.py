@@ -70,7 +70,7 @@ class NtfsReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for v in open_volumes(self.path):
-            if v.status != "ok":
+            if v.status not in ("ok", "partial_mft"):
                 continue
             end = v.records if self.most is None else min(v.records, self.most + 1)
             if self.only is not None:

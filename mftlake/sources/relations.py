@@ -56,6 +56,12 @@ def volumes(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, VOLUME)
 
 
+def numbered(attributes: DataFrame) -> Column:
+    """A number for each attribute of a record: its place, and where it was moved in from another record, that record's number before it."""
+    place = F.col("ord").cast("bigint")
+    return F.when(F.col("src_record_no") != F.col("record_no"), F.col("src_record_no") * 65_536 + place).otherwise(place) if "src_record_no" in attributes.columns else place
+
+
 class Image:
     """The relations of the volumes that ``path`` names.
 
@@ -117,13 +123,13 @@ class Image:
 
     def data_runs(self, attributes: DataFrame) -> DataFrame:
         """Extents of non-resident attributes with their clusters; continuations begin at their own first cluster."""
-        coded = attributes.filter("non_resident and status = 'ok'").select("image", "record_no", F.col("ord").alias("attr"), "start_vcn", "runs")
+        coded = attributes.filter("non_resident and status = 'ok'").select("image", "record_no", numbered(attributes).alias("attr"), "start_vcn", "runs")
         return S.place_runs(decode_runs(coded.withColumnRenamed("start_vcn", "from_vcn")), "from_vcn")
 
     def read_clusters(self, placed: DataFrame) -> DataFrame:
         """Bytes of placed runs by ``vcn``, read on the executors; sparse runs are zeros and touch no disk."""
         sizes = {i: v.geometry.cluster_size for i, v in self.found.items()}
-        schema = "image string, record_no bigint, attr int, vcn bigint, bytes binary"
+        schema = "image string, record_no bigint, attr bigint, vcn bigint, bytes binary"
 
         def rows(r: dict) -> Iterable[dict]:
             length = r["count"] * sizes[r["image"]]
@@ -133,14 +139,14 @@ class Image:
         return _map(S.read_tasks(placed), schema, rows)
 
     def stream_chunks(self, attributes: DataFrame) -> DataFrame:
-        """Bytes of attributes in pieces: ``image``, ``record_no``, ``attr``, ``name``, ``at`` (byte offset), ``bytes``, cut at the real size, zeros past the initialised one.
+        """Bytes of attributes in pieces: ``image``, ``record_no``, ``attr``, ``slot``, ``name``, ``at`` (byte offset), ``bytes``, cut at the real size, zeros past the initialised one.
 
         Extents of one stream that stand in several records or attributes make one stream by record, type and name.
         """
         sizes = {i: v.geometry.cluster_size for i, v in self.found.items()}
         cluster = F.create_map(*(F.lit(x) for p in sizes.items() for x in p)) if sizes else F.create_map(F.lit(""), F.lit(1))
-        resident = attributes.filter("not non_resident and status = 'ok'").select("image", "record_no", F.col("ord").alias("attr"), "name", F.lit(0).cast("bigint").alias("at"), F.col("body").alias("bytes"))
-        outer = attributes.filter("non_resident and status = 'ok'").withColumn("attr", F.col("ord"))
+        resident = attributes.filter("not non_resident and status = 'ok'").select("image", "record_no", numbered(attributes).alias("attr"), "slot", "name", F.lit(0).cast("bigint").alias("at"), F.col("body").alias("bytes"))
+        outer = attributes.filter("non_resident and status = 'ok'").withColumn("attr", numbered(attributes))
         read = self.read_clusters(self.data_runs(attributes))
         # only the first extent's header has the sizes of the whole
         head = outer.groupBy("image", "record_no", "slot", "name").agg(F.max("data_size").alias("_size"), F.max("ini_size").alias("_ini"))
@@ -150,12 +156,12 @@ class Image:
         real = F.least(F.octet_length("bytes").cast("bigint"), F.col("_size") - F.col("at"))
         good = F.greatest(F.lit(0), F.least(real, F.col("_ini") - F.col("at")))
         shown = F.concat(F.substring("bytes", F.lit(1), good.cast("int")), F.unhex(F.repeat(F.lit("00"), (real - good).cast("int"))))
-        return resident.unionByName(rows.select("image", "record_no", "attr", "name", "at", shown.alias("bytes")))
+        return resident.unionByName(rows.select("image", "record_no", "attr", "slot", "name", "at", shown.alias("bytes")))
 
     def stream_bytes(self, attributes: DataFrame) -> DataFrame:
-        """Whole streams: ``image``, ``record_no``, ``name``, ``bytes``; for small ones, such as lists and directories."""
-        joined = self.stream_chunks(attributes).groupBy("image", "record_no", "name").agg(F.sort_array(F.collect_list(F.struct("at", "bytes"))).alias("_c"))
-        return joined.select("image", "record_no", "name", F.aggregate("_c", F.lit(b""), lambda s, c: F.concat(s, c["bytes"])).alias("bytes"))
+        """Whole streams: ``image``, ``record_no``, ``slot``, ``name``, ``bytes``; for small ones, such as lists and directories."""
+        joined = self.stream_chunks(attributes).groupBy("image", "record_no", "slot", "name").agg(F.sort_array(F.collect_list(F.struct("at", "bytes"))).alias("_c"))
+        return joined.select("image", "record_no", "slot", "name", F.aggregate("_c", F.lit(b""), lambda s, c: F.concat(s, c["bytes"])).alias("bytes"))
 
     def standard_information(self, attributes: DataFrame) -> DataFrame:
         schema = "image string, record_no bigint, ord int, create_ft bigint, alter_ft bigint, mft_ft bigint, read_ft bigint, permission bigint, owner_id bigint, security_id bigint, quota bigint, usn bigint"

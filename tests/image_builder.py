@@ -132,7 +132,8 @@ class Builder:
     def raw(self, no, data):
         self.records[no] = data
 
-    def image(self, version=(3, 1)):
+    def image(self, version=(3, 1), table_in=None):
+        """The image's bytes. ``table_in``: the record that the table's second extent stands in, in place of record 0."""
         label = resident(C.TYPE["VOLUME_NAME"], "Täst".encode("utf-16-le"))
         self.add(C.VOLUME, [information(), file_name(C.ROOT, "$Volume"), label, resident(C.TYPE["VOLUME_INFORMATION"], bytes(8) + bytes(version) + bytes(2))])
         count = max(self.records) + 1
@@ -144,7 +145,13 @@ class Builder:
         runs = [(first, high), (rest, low)]
         size = (first + rest) * self.cluster // self.record_size * self.record_size
         assert per and size
-        self.add(C.MFT, [information(), file_name(C.ROOT, "$MFT"), non_resident(C.TYPE["DATA"], runs, count * self.record_size, self.cluster)])
+        table = [information(), file_name(C.ROOT, "$MFT"), non_resident(C.TYPE["DATA"], runs, count * self.record_size, self.cluster)]
+        if table_in:
+            kind = C.TYPE["DATA"]
+            item = kind.to_bytes(4, "little") + (32).to_bytes(2, "little") + bytes([0, 26]) + first.to_bytes(8, "little") + (table_in | 1 << 48).to_bytes(8, "little") + bytes(8)
+            table = [information(), resident(C.TYPE["ATTRIBUTE_LIST"], item), file_name(C.ROOT, "$MFT"), non_resident(kind, runs[:1], count * self.record_size, self.cluster)]
+            self.add(table_in, [non_resident(kind, runs[1:], 0, self.cluster, start_vcn=first)], base=C.MFT)
+        self.add(C.MFT, table)
         out = bytearray((self.free + 8) * self.cluster)
         for at, data in self.disk.items():
             out[at * self.cluster : at * self.cluster + len(data)] = data

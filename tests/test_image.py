@@ -37,6 +37,11 @@ def populated(**geometry):
     item = lambda ref, vcn, i: DATA.to_bytes(4, "little") + (32).to_bytes(2, "little") + bytes([0, 26]) + vcn.to_bytes(8, "little") + (ref | 1 << 48).to_bytes(8, "little") + i.to_bytes(2, "little") + bytes(6)
     b.add(25, [information(), resident(C.TYPE["ATTRIBUTE_LIST"], item(25, 0, 0) + item(27, 1, 1) + item(27, 1, 1)), file_name(22, "deep"), non_resident(DATA, [p], 2 * c, c)])
     b.add(27, [non_resident(DATA, [q], 0, c, attr_id=1, start_vcn=1)], base=25)
+    # and one whose stream continues in two extension records, in each at the same place
+    r, t, v = b.put(b"r" * c, gap=1), b.put(b"s" * c, gap=3), b.put(b"t" * c, gap=2)
+    b.add(31, [information(), resident(C.TYPE["ATTRIBUTE_LIST"], item(31, 0, 0) + item(32, 1, 0) + item(33, 2, 0)), file_name(22, "deep 2"), non_resident(DATA, [r], 3 * c - 7, c)])
+    b.add(32, [non_resident(DATA, [t], 0, c, start_vcn=1)], base=31)
+    b.add(33, [non_resident(DATA, [v], 0, c, start_vcn=2)], base=31)
     b.add(26, [information(), file_name(99, "gone"), resident(DATA, b"deleted")], flags=0)
     b.raw(28, b"BAAD" + bytes(b.record_size - 4))
     broken = bytearray(record(29, [information()], b.record_size, b.sector))
@@ -59,14 +64,14 @@ def image(request, spark, tmp_path_factory):
 def test_volume(image):
     it, b, _ = image
     v = it.volumes().first()
-    assert (v["ok"], v["ver_major"], v["ver_minor"], v["volume_name"], v["records"]) == (True, 3, 1, "Täst", 31)
+    assert (v["ok"], v["ver_major"], v["ver_minor"], v["volume_name"], v["records"]) == (True, 3, 1, "Täst", 34)
     assert (v["sector_size"], v["cluster_size"], v["record_size"], v["index_block_size"]) == (b.sector, b.cluster, b.record_size, b.block)
 
 
 def test_records_and_status(image):
     it, *_ = image
     got = {r["record_no"]: r for r in it.records().collect()}
-    assert len(got) == 31
+    assert len(got) == 34
     assert (got[20]["is_dir"], got[26]["in_use"], got[27]["base_ref"]) == (True, False, 25)
     assert (got[28]["status"], got[29]["status"], got[21]["status"]) == ("bad_magic", "bad_fixup", "ok")
     assert {r["record_no"] for r in it.records(F.col("record_no").isin(21, 24)).collect()} == {21, 24}
@@ -108,6 +113,7 @@ def test_streams(image):
     sparse = (b"A" * c + bytes(3 * c) + b"B" * c)[: 5 * c - 10]
     assert whole[23, ""] == sparse[: 4 * c + 4] + bytes(len(sparse) - 4 * c - 4)
     assert whole[25, ""] == b"x" * c + b"y" * c
+    assert whole[31, ""] == b"r" * c + b"s" * c + b"t" * (c - 7)
     assert (30, "") not in whole
     found = S.find_stream(attributes, "ads").collect()
     assert [(r["record_no"], bytes(r["body"])) for r in found] == [(21, b"other")]
@@ -118,10 +124,41 @@ def test_recover(image, tmp_path):
     chunks = it.stream_chunks(it.attributes().filter("slot = 7 and record_no in (21, 24)"))
     out = {r["name"]: (r["path"], r["n_bytes"]) for r in sinks.recover_files(chunks.filter("record_no = 21"), str(tmp_path / "out")).collect()}
     assert open(out[""][0], "rb").read() == big and out["ads"][1] == 5
+    kinds = it.stream_chunks(it.attributes().filter("record_no = 21 and not non_resident"))
+    names = {r["path"].rpartition("-")[2] for r in sinks.recover_files(kinds, str(tmp_path / "kinds")).collect()}
+    assert names == {"21.STANDARD_INFORMATION", "21.FILE_NAME", "21.ads"}
     sinks.recover_table(chunks, str(tmp_path / "table"))
     assert sinks.large(chunks, over=100).count() == 1
 
 
+def test_table_extents_in_an_extension_record(spark, tmp_path):
+    b, big = populated()
+    path = tmp_path / "split.img"
+    path.write_bytes(b.image(table_in=14))
+    it = Image(spark, str(path), records_per_partition=7)
+    assert [v.status for v in it.found.values()] == ["ok"]
+    assert {bytes(r["bytes"]) for r in it.stream_bytes(it.attributes().filter("slot = 7 and record_no = 21 and name = ''")).collect()} == {big}
+    b, _ = populated()
+    path.write_bytes(b.image(table_in=20))  # within the extent that it should tell
+    it = Image(spark, str(path))
+    assert [v.status for v in it.found.values()] == ["partial_mft"] and it.records().filter("status = 'ok'").agg(F.max("record_no")).first()[0] < 16
+
+
+def test_runs_beyond_the_header_are_refused():
+    good = record(0, [non_resident(DATA, [(2, 5)], 10, 1024)], 1024, 512)
+    from mftlake.sources import decode as D
+
+    def status(raw):
+        found = D.record(raw, 0, 512)
+        return [a["status"] for a in D.attributes(found.raw, found.fields["attr_offset"])]
+
+    attribute = bytearray(non_resident(DATA, [(2, 5)], 10, 1024))
+    attribute[24:32] = bytes(8)  # last cluster 0: one cluster only
+    broken = bytearray(non_resident(DATA, [(2, 5)], 10, 1024))
+    broken[64] = 0x99
+    assert status(good) == ["ok"] and status(record(0, [bytes(attribute)], 1024, 512)) == ["bad_runs"] and status(record(0, [bytes(broken)], 1024, 512)) == ["bad_runs"]
+
+
 def test_attributes_and_bitmap(image):
     it, *_ = image
     attributes = it.attributes().cache()
