@@ -109,6 +109,10 @@ def path_parts(path: Column) -> Column:
     return F.filter(F.split(bare, r"\\+"), lambda p: p != "")
 
 
+#: more bytes than any binary has
+WHOLE = (1 << 31) - 1
+
+
 def path_volume(path: Column) -> Column:
     return F.upper(F.regexp_extract(path, r'^["\s]*([A-Za-z])\s*:', 1))
 
@@ -142,6 +146,17 @@ def hex_lines(raw: Column, limit: int = 16_384, width: int = 16) -> Column:
     return F.transform(line_offsets(raw, limit, width), line)
 
 
+def attribute_hex_lines(raw: Column, width: int = 16) -> Column:
+    """Array of the hex lines (hex, ascii) of an attribute's bytes, all of them; a last line of half a line or less shows its first half only."""
+
+    def line(at: Column) -> Column:
+        _, text, letters = hex_line(raw, at, WHOLE, width)
+        half = F.octet_length(raw) - at <= width // 2
+        return F.struct(F.when(half, F.substring(text, 1, 3 * (width // 2) - 1)).otherwise(text).alias("hex"), F.when(half, F.substring(letters, 1, width // 2)).otherwise(letters).alias("ascii"))
+
+    return F.transform(line_offsets(raw, WHOLE, width), line)
+
+
 def slice_bytes(raw: Column, offset: Column, length: Column) -> Column:
     """Bytes of a byte range, clamped to the end; null if it starts beyond it."""
     return F.when((offset >= 0) & (offset <= F.octet_length(raw)) & (length >= 0), F.substring(raw, (offset + 1).cast("int"), length.cast("int")))

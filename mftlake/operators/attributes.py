@@ -73,8 +73,42 @@ def record_flags(records: DataFrame, information: DataFrame) -> DataFrame:
     )
 
 
+#: flags of a file name by bit, as the format has them (fixed values)
+NAME_FLAGS = {
+    "read_only": 0x1,
+    "hidden": 0x2,
+    "system": 0x4,
+    "archive": 0x20,
+    "device": 0x40,
+    "normal": 0x80,
+    "temporary": 0x100,
+    "sparse": 0x200,
+    "reparse_point": 0x400,
+    "compressed": 0x800,
+    "offline": 0x1000,
+    "not_indexed": 0x2000,
+    "encrypted": 0x4000,
+    "directory": 0x10000000,
+}
+
+
+def name_flags(names: DataFrame) -> DataFrame:
+    """What the ``flags`` of every file name say, one boolean each; false where there are no flags."""
+    return names.select(*RECORD, "ord", *(X.has_flag(F.col("flags"), bit).alias(n) for n, bit in NAME_FLAGS.items()))
+
+
+TIMES = "create_ft", "alter_ft", "mft_ft", "read_ft"
+
+
+def first_times(records: DataFrame, information: DataFrame) -> DataFrame:
+    """The four times of every record's first standard information; without one, 0."""
+    first = information.groupBy(*RECORD).agg(F.min_by(F.struct(*TIMES), "ord").alias("_t"))
+    joined = records.select(*RECORD).join(first, RECORD, "left")
+    return joined.select(*RECORD, *(F.coalesce(F.col(f"_t.{n}"), F.lit(0).cast("bigint")).alias(n) for n in TIMES))
+
+
 def dump(attributes: DataFrame) -> DataFrame:
     """Lines of an attribute dump: label and hex of each attribute's bytes (``body``), in slot order."""
     rows = attributes.withColumn("label", X.attribute_label(F.col("slot"), F.col("name")))
-    lines = F.posexplode_outer(X.hex_lines(F.coalesce("body", F.lit(b""))))
+    lines = F.posexplode_outer(X.attribute_hex_lines(F.coalesce("body", F.lit(b""))))
     return rows.select(*RECORD, "slot", "ord", "label", lines.alias("line_no", "line")).select(*RECORD, "slot", "ord", "label", "line_no", "line.hex", "line.ascii")

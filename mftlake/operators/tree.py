@@ -8,13 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mftlake import constants as C
 from mftlake.functions import exprs as X
 
-#: path components that a chain of joins follows at most; also what ends cycles of corrupt parents
-MAX_DEPTH = 64
-
 
 def listed(entries: DataFrame) -> DataFrame:
     """Entries that a listing shows: user files under a Win32 name."""
@@ -29,6 +27,17 @@ def list_directory(entries: DataFrame, directory: Column | None = None) -> DataF
     )
 
 
+def ordered_listing(entries: DataFrame) -> DataFrame:
+    """Entries with their ``place`` (from 1) in the collated order of their directory, which is how its index tree is walked: by name, cases aside."""
+    order = Window.partitionBy("image", "dir_ref").orderBy(F.upper("name"), "name", "file_ref")
+    return entries.select("image", "dir_ref", "file_ref", "name", F.row_number().over(order).cast("bigint").alias("place"))
+
+
+def live_references(records: DataFrame) -> DataFrame:
+    """Numbers of the records in use, each once and in order."""
+    return records.filter("in_use").select("image", "record_no").distinct().orderBy("image", "record_no")
+
+
 def count_entries(entries: DataFrame) -> DataFrame:
     """Files and directories of every listing."""
     return listed(entries).groupBy("image", "dir_ref").agg(F.count_if(~F.col("is_dir")).alias("files"), F.count_if(F.col("is_dir")).alias("directories"))
@@ -65,7 +74,7 @@ def parent_map(entries: DataFrame) -> DataFrame:
 
 
 def _climbed(start: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """``start`` (``image``, ``ref``, ``parent``, ``path``) climbed ``depth`` levels at most, until no row has a parent that is known."""
+    """``start`` (``image``, ``ref``, ``parent``, ``path``) climbed by ``depth`` levels, which also ends cycles of corrupt parents; rows whose parent is not known stay as they are."""
     up = nodes.select(F.col("image").alias("_image"), F.col("ref").alias("_ref"), F.col("name").alias("_name"), F.col("parent").alias("_up"))
     for _ in range(depth):
         start = start.join(up, (F.col("image") == F.col("_image")) & (F.col("parent") == F.col("_ref")), "left").select(

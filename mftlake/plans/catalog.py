@@ -50,6 +50,19 @@ def dir_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.count_entries(V.entries(spark, sf_dir)).drop("image")
 
 
+@query(f"""{WITH}
+SELECT dir_ref, file_ref, name, row_number() OVER (PARTITION BY dir_ref ORDER BY upper(name), name, file_ref) AS place FROM entries""")
+def ordered_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.ordered_listing(V.entries(spark, sf_dir)).drop("image")
+
+
+@query("SELECT DISTINCT l_orderkey AS record_no FROM lineitem WHERE l_returnflag <> 'R'")
+def live_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = V.table(spark, sf_dir, "lineitem")
+    records = lines.select(F.lit("driver").alias("image"), F.col("l_orderkey").alias("record_no"), (F.col("l_returnflag") != "R").alias("in_use"))
+    return T.live_references(records).drop("image")
+
+
 @query(f"""{WITH},
 wanted AS (
   SELECT 'C:' || chr(92) || lower(r_name) || chr(92) || upper(n_name) || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE chr(92) || upper(c_name) END || CASE WHEN c_custkey % 5 = 0 THEN 'x' ELSE '' END AS path,
@@ -200,19 +213,41 @@ def attr_list_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH attr AS (SELECT *, CASE WHEN ord % 3 = 0 THEN name ELSE '' END AS own, substr(name || ':' || name || ':' || name, 1, 40) AS body FROM ({_EVENTS})),
-lines AS (SELECT record_no, ord, slot, own, body, unnest(range(0, greatest(strlen(body), 1), 16)) AS i FROM attr)
+WITH attr AS (SELECT *, CASE WHEN ord % 3 = 0 THEN name ELSE '' END AS own, name || ':' || name || ':' || name AS body FROM ({_EVENTS})),
+cut AS (SELECT record_no, ord, slot, own, body, unnest(range(0, greatest(strlen(body), 1), 16)) AS i FROM attr),
+lines AS (SELECT *, rpad(hex(substr(body, i + 1, 16)), 32, 'F') AS d, rpad(substr(body, i + 1, 16), 16, '.') AS letters, CASE WHEN strlen(body) - i <= 8 THEN 8 ELSE 16 END AS width FROM cut)
 SELECT record_no, ord,
        ['STANDARD_INFORMATION', 'ATTRIBUTE_LIST', 'FILE_NAME', 'OBJECT_ID', 'SECURITY_DESCRIPTOR', 'VOLUME_NAME', 'VOLUME_INFORMATION', 'DATA',
         'INDEX_ROOT', 'INDEX_ALLOCATION', 'BITMAP', 'REPARSE_POINT', 'EA_INFORMATION', 'EA', 'PROPERTY_SET', 'LOGGED_UTILITY_STREAM'][slot + 1]
          || CASE WHEN own <> '' THEN ' (' || own || ')' ELSE '' END AS label,
-       CAST(i // 16 AS INTEGER) AS line_no, rpad(substr(body, i + 1, 16), 16, '.') AS ascii
+       CAST(i // 16 AS INTEGER) AS line_no, substr(letters, 1, width) AS ascii,
+       substr(rtrim(regexp_replace(substr(d, 1, 16), '(..)', '\\1 ', 'g')) || ' - ' || rtrim(regexp_replace(substr(d, 17, 16), '(..)', '\\1 ', 'g')), 1, width * 3 + 1 - CASE width WHEN 8 THEN 2 ELSE 0 END) AS hex
 FROM lines""")
 def attr_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("name")
-    body = F.substring(F.concat_ws(":", name, name, name), 1, 40)
-    rows = _events(spark, sf_dir).withColumn("body", F.encode(body, "UTF-8")).withColumn("name", F.when(F.col("ord") % 3 == 0, name).otherwise(F.lit("")))
-    return A.dump(rows).select("record_no", "ord", "label", "line_no", "ascii")
+    rows = _events(spark, sf_dir).withColumn("body", F.encode(F.concat_ws(":", name, name, name), "UTF-8")).withColumn("name", F.when(F.col("ord") % 3 == 0, name).otherwise(F.lit("")))
+    return A.dump(rows).select("record_no", "ord", "label", "line_no", "ascii", "hex")
+
+
+def _name_flags_sql() -> str:
+    return ", ".join(f"o_orderkey * 7919 % 536870912 & {bit} <> 0 AS {name}" for name, bit in A.NAME_FLAGS.items())
+
+
+@query(f"SELECT o_custkey AS record_no, o_orderkey AS ord, {_name_flags_sql()} FROM orders")
+def name_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = V.table(spark, sf_dir, "orders")
+    return A.name_flags(orders.select(F.lit("driver").alias("image"), F.col("o_custkey").alias("record_no"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") * 7919 % 536870912).alias("flags"))).drop("image")
+
+
+@query("""
+SELECT c_custkey AS record_no, coalesce(k * 3, 0) AS create_ft, coalesce(k * 5, 0) AS alter_ft, coalesce(k * 7, 0) AS mft_ft, coalesce(k * 11, 0) AS read_ft
+FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey) ON c_custkey = o_custkey""")
+def first_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image, key = F.lit("driver").alias("image"), F.col("o_orderkey")
+    records = V.table(spark, sf_dir, "customer").select(image, F.col("c_custkey").alias("record_no"))
+    # a third of the orders stand for standard information, so that some records have none
+    information = V.table(spark, sf_dir, "orders").filter(key % 3 == 0).select(image, F.col("o_custkey").alias("record_no"), key.alias("ord"), *((key * n).alias(t) for n, t in zip((3, 5, 7, 11), A.TIMES)))
+    return A.first_times(records, information).drop("image")
 
 
 # --- extents and streams ---------------------------------------------------------------------------------------------
