@@ -11,8 +11,8 @@ from .common import ascii_lower, packed, pick, read, unpacked
 #: what parts words: every ASCII character but digits and letters (after lower-casing A-Z)
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 8
-#: windows of the benchmark that are broadcast at most; beyond, the join shuffles
-BROADCAST_WINDOWS = 1_000_000
+#: windows of the benchmark that are broadcast at most, and bytes of their words and item ids; beyond either, the join shuffles
+BROADCAST_WINDOWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 #: stands for the text itself among its window hashes; joins the row of the same hash that has no words
 HEADER = 0
 
@@ -59,18 +59,20 @@ def scan(
     """One row per row of ``df``: ``_id``, ``_key`` (hash and length of its text), ``_n_words``, ``_n_hit``, ``_items``, ``_spans``.
 
     The benchmark's windows are normalised and hashed; the hash set is broadcast when its counted size allows, and
-    joined by a shuffle otherwise. Every window of every text is looked up while its words are scanned, and a match is
+    joined by a shuffle otherwise, to which each window brings its words. Every window of every text is looked up while its words are scanned, and a match is
     verified word by word. ``_items``: sorted item ids (strings) with an occurring window. ``_spans``: disjoint ranges
     of hit words, as (first, end) from 0, end exclusive. A null text has no words. Rows that repeat identifier
     and text get equal answers, one each. Empty tables give no hits or no rows; other columns are not read.
     """
     grams = item_windows(items, item_col, item_text, window)
-    lengths = {r["_len"]: r["count"] for r in grams.groupBy("_len").count().collect()}  # one row per length, so at most ``window``
+    size = F.sum(F.octet_length(F.array_join("_gram", " ")) + F.octet_length(F.array_join("_items", " ")))
+    lengths = {r["_len"]: r for r in grams.groupBy("_len").agg(F.count("*").alias("rows"), size.alias("bytes")).collect()}  # one row per length, so at most ``window``
     header = df.sparkSession.range(1).select(
         F.lit(HEADER).cast("bigint").alias("_h"), F.lit(None).cast("array<string>").alias("_gram"), F.lit(0).alias("_len"), F.lit(None).cast("array<string>").alias("_items")
     )
     table = grams.unionByName(header)
-    if sum(lengths.values()) <= broadcast_windows:
+    shipped = sum(r["rows"] for r in lengths.values()) <= broadcast_windows and sum(r["bytes"] for r in lengths.values()) <= BROADCAST_BYTES
+    if shipped:
         table = F.broadcast(table)
     rows = pick(df, _id=id_col, _text=text_col).withColumn("_text", F.col("_text").cast("string"))
     rows = rows.select("_id", F.struct(F.xxhash64("_text").alias("x"), F.length("_text").alias("n")).alias("_key"), words(F.col("_text")).alias("_w"))
@@ -78,8 +80,13 @@ def scan(
     at = [_placed(_windows(F.col("_w"), F.col("_wh"), n), n) for n in sorted(lengths)]
     first = F.array(F.struct(F.lit(HEADER).cast("bigint").alias("h"), F.lit(-1).alias("i"), F.lit(0).alias("n")))
     looked = rows.select("_id", "_key", "_w", F.explode(F.concat(first, *at)).alias("_at")).select("_id", "_key", "_w", "_at.h", "_at.i", "_at.n")
-    same = (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_len")) & ((F.col("n") == 0) | (F.slice("_w", F.col("i") + 1, F.col("n")) == F.col("_gram")))
-    hits = looked.join(table, same).select("_id", "_key", "i", "n", F.when(F.col("n") == 0, F.size("_w")).alias("_n_words"), "_items")
+    own, count = F.slice("_w", F.col("i") + 1, F.col("n")), F.when(F.col("n") == 0, F.size("_w")).alias("_n_words")
+    if not shipped:
+        # a window takes its own words along, not its text's
+        looked = looked.select("_id", "_key", "h", "i", "n", F.when(F.col("n") > 0, own).alias("_own"), count)
+        own, count = F.col("_own"), F.col("_n_words")
+    same = (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_len")) & ((F.col("n") == 0) | (own == F.col("_gram")))
+    hits = looked.join(table, same).select("_id", "_key", "i", "n", count, "_items")
     # what each hit adds to the words covered so far
     before = Window.partitionBy("_id", "_key").orderBy("i", F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max(F.when(F.col("n") > 0, F.col("i") + F.col("n"))).over(before), F.lit(0))
