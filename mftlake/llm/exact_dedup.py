@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import packed, read, unpacked
+from .common import cut, packed, read, unpacked
 
 DIGEST = ["_sha", "_bytes", "_check"]
 
@@ -20,11 +20,11 @@ def _address(at: Column, depth: int, fanout: int) -> Column:
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fanout: int = 16, rounds: int = 2, keep: str = "max") -> DataFrame:
     """Every row of ``df`` with the row that stays for its text.
 
-    Rows are dealt by their identifier over ``fanout ** rounds`` logical partitions. Each makes a sorted run
-    with one entry per digest. In every round the partitions that differ in one digit of their address
+    Rows are dealt by their identifier over ``fanout ** rounds`` addresses (choose at least as many as there are cores). Each makes a
+    sorted run with one entry per digest, and the runs are written once. In every round the addresses that differ in one digit
     exchange those parts of their runs that the digest's digit assigns to the other, and merge the ``fanout``
-    runs they then hold (a sort aggregate over sorted input), so a digest with a third of all rows never has
-    more than ``fanout`` entries in one merge. An entry is the digest, verified by the length and a second
+    runs they then hold: equal digests lie side by side in the sorted rows, which a sort aggregate joins as it passes. So a
+    digest with a third of all rows never has more than ``fanout`` entries in one merge. An entry is the digest, verified by the length and a second
     hash of the text, the best identifier and the number of rows. The answers go back down the same tree, so
     the join with the rows is spread over the first partitions too.
 
@@ -47,10 +47,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.xxhash64(text).alias("_check"),
         )
     )
-    # a struct as the aggregate's buffer makes Spark aggregate by sorting: each exchange moves and merges sorted runs
-    levels = [rows.groupBy("_at", *DIGEST).agg(best(F.struct("_id")).alias("_best"), F.count("*").alias("_n"))]
+    # every address holds one run, sorted by digest; a round sends its parts on by address alone and merges what then lies together
+    run = lambda df: df.repartition("_at").sortWithinPartitions("_at", *DIGEST)
+    first = run(rows.groupBy("_at", *DIGEST).agg(best(F.struct("_id")).alias("_best"), F.count("*").alias("_n")))
+    levels = [cut(first)]
     for depth in range(1, rounds + 1):
-        moved = levels[-1].withColumn("_at", _address(F.col("_at"), depth, fanout))
+        moved = run(levels[-1].withColumn("_at", _address(F.col("_at"), depth, fanout)))
         levels.append(moved.groupBy("_at", *DIGEST).agg(best("_best").alias("_best"), F.sum("_n").alias("_n")))
     answer = levels[-1]
     for depth in range(rounds, 0, -1):
