@@ -3,9 +3,10 @@ import random
 import corpus_pipeline as P
 import sentencepiece
 from mftlake.llm import sentencepiece_codec as codec
-from mftlake.llm import simhash, toxicity
+from mftlake.llm import toxicity
 
 from test_decontaminate import WORD, brute, low
+from test_simhash import brute_similar
 
 
 def tables(spark, folder):
@@ -25,24 +26,6 @@ def tables(spark, folder):
     return docs, items, labels
 
 
-def near_brute(docs):
-    prints = {i: simhash.simhash(t) for i, t in docs}
-    root = {i: i for i in prints}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    ids = sorted(prints)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            if bin(prints[a] ^ prints[b]).count("1") <= 2:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return [(i, t) for i, t in docs if find(i) == i]
-
-
 def test_equals_brute_force(spark, tmp_path):
     docs, items, labels = tables(spark, tmp_path)
     got = {r["doc_id"]: r["token_ids"] for r in P.run(spark, str(tmp_path)).collect()}
@@ -53,7 +36,8 @@ def test_equals_brute_force(spark, tmp_path):
     last = {}
     for i, t in left:
         last[t or ""] = max(i, last.get(t or "", i))
-    left = near_brute([(i, t) for i, t in left if last[t or ""] == i])
+    left = [(i, t) for i, t in left if last[t or ""] == i]
+    left = [left[k] for k in sorted(brute_similar(left))]
     want = {}
     judge = sentencepiece.SentencePieceProcessor(model_file=codec.MODEL)
     for (i, t), (_, n, h, found, hit) in zip(left, brute(left, items)):
