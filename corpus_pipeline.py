@@ -23,8 +23,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the one with the smallest doc_id stays."""
-    return simhash.near_dedup(docs)
+    """Of each group of documents that share 0.8 of their five-word shingles, the one with the smallest doc_id stays."""
+    return simhash.similar_dedup(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
