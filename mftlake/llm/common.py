@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +76,24 @@ def discard(*tables: DataFrame) -> None:
     jvm.System.gc()  # shuffle files go once the plan that made them has been collected
 
 
+#: rows and bytes that go to a Python worker at a time where a row bears whole texts
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run inside hands Python workers BATCH_ROWS rows or about BATCH_BYTES bytes at a time; the session's own settings are back afterwards."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 #: a key is hot from so many rows on, and from this share of all rows (so at most HOT_KEYS keys are)
 HOT_ROWS, HOT_KEYS = 64, 4096
 
