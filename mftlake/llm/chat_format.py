@@ -280,3 +280,27 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     both = shared.unionByName(canonical_turns(extra).select("_id", "_turns"))
     return digests(format_turns(both)).withColumnRenamed("_id", "conv_id")
+
+
+def _escaped_chars(text: str) -> str:
+    """SQL: how long a text is once it is escaped."""
+    more = [f"(length({text}) - length(replace({text}, '{c}', ''))) // {len(c)}" for c in ("\\", *CONTROLS)]
+    return f"(length({text}) + {' + '.join(more)})"
+
+
+OP4_SQL = f"""
+WITH turns AS (
+    SELECT false AS added, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT true, -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT true, -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+    SELECT *, {len(START) + len(MIDDLE) + len(END)} + {_escaped_chars("role")} + length(role) - length(replace(role, chr(10), '')) + {_escaped_chars("text")} AS chars FROM turns
+), whole AS (
+    SELECT added, conv_id, count(*) AS n_turns, sum(chars) AS chars,
+           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS every,
+           coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS learnt
+    FROM sized GROUP BY added, conv_id
+)
+SELECT conv_id, n_turns, sha256(every) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
+FROM whole
+"""

@@ -88,7 +88,7 @@ OP2_SQL = """
 SELECT doc_id,
        max(doc_id) OVER w AS keep_id,
        count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AND row_number() OVER (PARTITION BY coalesce(text, ''), doc_id) = 1 AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 WINDOW w AS (PARTITION BY coalesce(text, ''))

@@ -18,4 +18,5 @@ QUERIES = {
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op3_benchmark_decontamination": decontaminate.OP3_SQL,
+    "op4_chat_format": chat_format.OP4_SQL,
 }

@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
@@ -90,3 +91,15 @@ def test_fields_beside_the_conversation_do_not_matter(spark):
         assert (got[i]["_turns"] and [tuple(t) for t in got[i]["_turns"]]) == (layout and [("user", "q"), ("assistant", "a")])
     typed = spark.createDataFrame([Row(record=Row(id=7, question="q", answer="a"))])
     assert [tuple(t) for t in C.canonical_turns(typed).first()["_turns"]] == [("user", "q"), ("assistant", "a")]
+
+
+def test_sql_says_the_same_of_odd_rows(spark, tmp_path):
+    odd = [*C.CONTROLS, "\\", "\\<s>\\\\", "<s><s></s>", "é\n🙂", "", None]
+    rows = [(i % 5, i % 3 or None, ["user", "assistant", None, "a\nb<s>"][i % 4], odd[i % len(odd)]) for i in range(90)] + [(-1, 0, "user", "in the table too"), (None, 0, "assistant", "x" * 200_000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = C.op4_chat_format(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    found = con.execute(C.OP4_SQL)
+    assert [d[0] for d in found.description] == got.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, found.fetchall()))
