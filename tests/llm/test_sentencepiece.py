@@ -89,3 +89,23 @@ def test_tables(spark, both):
     back = {r["_id"]: r["_text"] for r in P.decode(coded).collect()}
     assert back == {i: (t or "").replace("▁", " ") for i, t in rows}
     assert P.tokenised(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("made", [P.Codec, P._codec])
+def test_every_chunk_is_verified_unless_told_otherwise(both, made):
+    codec = made(P._model_bytes(P.MODEL))
+    codec.known.clear()
+    judge, words = codec.judge, [f"word{i}" for i in range(64)]
+
+    class Off:
+        def encode(self, chunks, num_threads):
+            return [[0] for _ in chunks]
+
+    try:
+        codec.judge = Off()
+        _, _, _, differing = codec.encode(pa.array([" ".join(words), "word1", None]))
+    finally:
+        codec.judge = judge
+        codec.known.clear()
+        codec.differing.clear()
+    assert differing.tolist() == [64, 1, 0]
