@@ -14,13 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, pick, read
+from .common import cut, discard, pick, read
 
 #: bytes of context at most
 DEPTH = 4
-#: at most NODES times the cube root of all training bytes contexts of one length have a node of their own: those with that share of all bytes or
-#: more. So the tree grows with the corpus (up to 3,700 of a length at 0.5 GB, 14,000 at 30 GB, 215,000 at 100 TB, a kilobyte each)
+#: of a tree that is held whole on the driver (see :func:`train`): at most NODES times the cube root of all training bytes contexts of one length have a node
+#: of their own, those with that share of all bytes or more
 NODES = 5.0
+#: bytes with their context whose chances are shipped to where texts are read, the most frequent ones; all others meet theirs in a join
+SHIPPED = 1 << 21
+#: bytes with their context that one task weighs at a time
+WEIGHED = 50_000
 #: share of all training tokens from which a word's count is shipped to where texts are read: at most 1 / SHARE words have it
 SHARE = 1 / 4096
 #: bytes of text handled at a time, and counts that a worker gathers before it hands them on
@@ -55,6 +59,14 @@ def _coded(data: np.ndarray, begins: np.ndarray, depth: int) -> np.ndarray:
     return np.flatnonzero(coded)
 
 
+def _grams(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The bytes at ``at`` in the lowest eight bits, each with its context above, the newest byte lowest."""
+    gram = np.zeros(len(at), np.int64)
+    for i in range(depth, -1, -1):
+        gram = (gram << 8) | data[at - i]
+    return gram
+
+
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = (np.cumsum(sizes) - sizes) // SLICE_BYTES
@@ -88,10 +100,7 @@ def counts(df: DataFrame, depth: int = DEPTH) -> DataFrame:
             for batch in _slices(whole, 0):
                 data, begins = _laid_out(batch.column(0), depth)
                 at = _coded(data, begins, depth)
-                gram = np.zeros(len(at), np.uint64)
-                for i in range(depth, -1, -1):
-                    gram = (gram << np.uint64(8)) | data[at - i].astype(np.uint64)
-                k, n = np.unique(gram, return_counts=True)
+                k, n = np.unique(_grams(data, at, depth).view(np.uint64), return_counts=True)
                 both = np.concatenate([keys, k])
                 order = np.argsort(both, kind="stable")
                 both, each = both[order], np.concatenate([times, n])[order]
@@ -234,18 +243,157 @@ def train(table: DataFrame, depth: int = DEPTH, nodes: float = NODES) -> Context
     return weigh(levels)
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_if: Column | None = None, depth: int = DEPTH, nodes: float = NODES, share: float = SHARE) -> DataFrame:
+@dataclass(frozen=True)
+class Chances:
+    """log10 chances of bytes with their contexts, by sorted key (see :func:`counts`)."""
+
+    depth: int
+    keys: np.ndarray
+    logs: np.ndarray
+
+    def _found(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Key of every byte, the place that it has or would have among ``keys``, whether it is there, and where each text begins."""
+        data, begins = _laid_out(texts, self.depth)
+        gram = _grams(data, _coded(data, begins, self.depth), self.depth)
+        # looked up in their order, which stays within the caches
+        order = np.argsort(gram)
+        place = np.empty(len(gram), np.int64)
+        place[order] = np.searchsorted(self.keys, gram[order])
+        place = np.minimum(place, max(len(self.keys) - 1, 0))
+        there = self.keys[place] == gram if len(self.keys) else np.zeros(len(gram), bool)
+        return gram, place, there, begins[:-1] - self.depth * np.arange(len(texts))
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """log10 probability of what is known of each text and its end."""
+        if not len(texts):
+            return np.empty(0)
+        _, place, there, begins = self._found(texts)
+        return np.add.reduceat(np.where(there, self.logs[place], 0.0) if len(self.keys) else np.zeros(len(place)), begins)
+
+    def missing(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, key and times of every byte with its context that is not known, each once a text."""
+        gram, _, there, begins = self._found(texts)
+        owner = np.searchsorted(begins, np.flatnonzero(~there), "right") - 1
+        key = gram[~there]
+        order = np.lexsort((key, owner))
+        owner, key = owner[order], key[order]
+        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+        return owner[first], key[first], np.diff(np.append(first, len(key)))
+
+
+def _kt_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - np.log(np.pi) - _lgamma(a + b + 1), (b + 0.5) / (a + b + 1)
+
+
+def _mixed(own: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log weighted probability of a decision, and the weight of its own estimate after the training data."""
+    total = np.logaddexp(own, split) + np.log(0.5)
+    return total, np.exp(own + np.log(0.5) - total)
+
+
+def _weighed(key: np.ndarray, n: np.ndarray, depth: int, top: int):
+    """The tree's part from depth ``top`` down, of whole contexts of that length.
+
+    Of every decision of a byte that occurs (bytes by 8): the chance of a one by what lies from ``top`` on, its place among the decisions at ``top``, whether it was a one; of
+    the decisions at ``top``: context and decision, zeros, ones, log weighted probability. A context without counts gives even chances.
+    """
+    byte = (key & 255)[:, None]
+    level = np.arange(8)
+    node, bit = (1 << level) - 1 + (byte >> (8 - level)), ((byte >> (7 - level)) & 1).astype(bool)
+    at = (((key >> 8)[:, None] << 8) | node).ravel()
+    times, one = np.repeat(n, 8).astype(np.float64), bit.ravel()
+    context, place = np.unique(at, return_inverse=True)
+    a = np.bincount(place, np.where(one, 0, times), len(context))
+    b = np.bincount(place, np.where(one, times, 0), len(context))
+    below, chance = _kt_of(a, b)
+    up = np.arange(len(context))
+    for d in range(depth - 1, top - 1, -1):
+        shorter, parent = np.unique((((context >> 8) & ((1 << 8 * d) - 1)) << 8) | (context & 255), return_inverse=True)
+        a, b = np.bincount(parent, a, len(shorter)), np.bincount(parent, b, len(shorter))
+        own, own_chance = _kt_of(a, b)
+        below, weight = _mixed(own, np.bincount(parent, below, len(shorter)))
+        up = parent[up]
+        chance = weight[up] * own_chance[up] + (1 - weight[up]) * chance
+        context = shorter
+    return chance[place], up[place], one, context, a, b, below
+
+
+def chances(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``key``, ``log`` (log10 chance of the byte after its context) of every row of ``grams`` (``key``, ``n``: training occurrences, which may be none).
+
+    The mixture over all contexts of up to ``depth`` bytes that the training data has, none left out. Contexts that end in the same two bytes
+    are weighed together, in as many tasks as there are bytes with contexts for; the driver gets what these come to for the contexts of one byte, at most 65,280 rows.
+    """
+    top = min(2, depth)
+    parts = grams.count() // WEIGHED + 1
+    parted = grams.select("key", "n", F.expr(f"pmod(xxhash64(shiftright(key, 8) & {(1 << 8 * top) - 1}L), {parts})").alias("part"))
+    columns = lambda t: (t.column("key").to_numpy(), t.column("n").to_numpy())
+
+    def summed(t: pa.Table) -> pa.Table:
+        _, _, _, at, a, b, below = _weighed(*columns(t), depth, top)
+        return pa.table({"at": at, "a": a, "b": b, "below": below})
+
+    alpha, beta, known = np.zeros(1), np.ones(1), np.zeros(1, np.int64)
+    if top:
+        shorter = (1 << 8 * (top - 1)) - 1
+        sums = parted.groupBy("part").applyInArrow(summed, "at long, a double, b double, below double")
+        got = sums.groupBy(F.expr(f"shiftleft(shiftright(at, 8) & {shorter}L, 8) | (at & 255)").alias("at")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below")).orderBy("at").toArrow()
+        known, a, b, split = (got.column(x).to_numpy() for x in ("at", "a", "b", "below"))
+        context, up = known, np.arange(len(known))
+        alpha, beta = np.zeros(len(known)), np.ones(len(known))
+        for d in range(top - 1, -1, -1):
+            own, own_chance = _kt_of(a, b)
+            total, weight = _mixed(own, split)
+            alpha, beta = weight[up] * own_chance[up] + (1 - weight[up]) * alpha, (1 - weight[up]) * beta
+            if d:
+                context, parent = np.unique((((context >> 8) & ((1 << 8 * (d - 1)) - 1)) << 8) | (context & 255), return_inverse=True)
+                a, b, split, up = (*(np.bincount(parent, x, len(context)) for x in (a, b, total)), parent[up])
+    shipped = grams.sparkSession.sparkContext.broadcast((known, alpha, beta))
+
+    def logs(t: pa.Table) -> pa.Table:
+        key, n = columns(t)
+        chance, place, one, at, *_ = _weighed(key, n, depth, top)
+        if top:
+            known, alpha, beta = shipped.value
+            i = np.searchsorted(known, (((at >> 8) & ((1 << 8 * (top - 1)) - 1)) << 8) | (at & 255))[place]
+            chance = alpha[i] + beta[i] * chance
+        return pa.table({"key": key, "log": np.log10(np.where(one, chance, 1 - chance)).reshape(-1, 8).sum(axis=1)})
+
+    return parted.groupBy("part").applyInArrow(logs, "key long, log double")
+
+
+def _whole(rows: DataFrame, table: DataFrame, depth: int) -> tuple[Chances, DataFrame | None]:
+    """Chances of all bytes with their contexts in ``rows``, by the training counts ``table``: the most frequent SHIPPED, and a table of the rest if there is one."""
+    seen = table.filter(F.col("kind") == GRAM).select("key", "n", F.col("n").alias("all"))
+    held = counts(rows.filter("_held"), depth).filter(F.col("kind") == GRAM).select("key", F.lit(0).cast("bigint").alias("n"), F.col("n").alias("all"))
+    grams = cut(seen.unionByName(held).groupBy("key").agg(F.sum("n").alias("n"), F.sum("all").alias("all")))
+    made = cut(chances(grams, depth).join(grams.select("key", F.expr("cast(log2(all) as int)").alias("size")), "key"))
+    sizes, least, total = {r["size"]: r["count"] for r in made.groupBy("size").count().collect()}, 64, 0
+    for size in sorted(sizes, reverse=True):
+        total += sizes[size]
+        if total > SHIPPED:
+            break
+        least = size
+    top = made.filter(F.col("size") >= least).select("key", "log").toArrow()
+    keys, logs = top.column("key").to_numpy(), top.column("log").to_numpy()
+    order = np.argsort(keys)
+    discard(grams)
+    return Chances(depth, keys[order], logs[order]), made.filter(F.col("size") < least) if total > len(keys) else None
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_if: Column | None = None, depth: int = DEPTH, nodes: float | None = None, share: float = SHARE) -> DataFrame:
     """``_id``, ``_held``, ``_n_tokens``, ``_n_known``, ``_train_tokens``, ``_base``, ``_score`` and ``_bits`` (code length per byte, the end being one) of every row of ``df``.
 
     Learns from the rows for which ``train_if`` (on ``_id``) holds; by default those that :func:`held_out` leaves. ``_base`` is the
-    score of add-one word frequencies. Words with ``share`` of all training tokens are shipped to where texts are
+    score of add-one word frequencies. ``_score`` is that of the whole tree, all contexts of the training rows (see :func:`chances`); ``nodes`` asks for the smaller one
+    of :func:`train` instead. Words with ``share`` of all training tokens are shipped to where texts are
     read; all others meet their counts in a join, each with too few rows to weigh on one task. Null texts count as
     empty. Repeated rows get equal answers, one each. An empty table gives no rows; with nothing to learn from, chances are even.
     """
     rows = pick(df, _id=id_col, _text=text_col).withColumn("_text", F.coalesce(F.col("_text").cast("string"), F.lit("")))
     rows = rows.withColumn("_held", ~F.coalesce(train_if, F.lit(False)) if train_if is not None else held_out("_id"))
     table = cut(counts(rows.filter(~F.col("_held")), depth))
-    tree = train(table, depth, nodes)
+    tree, deep = _whole(rows, table, depth) if nodes is None else (train(table, depth, nodes), None)
     words = table.filter(F.col("kind") == WORD)
     total, distinct, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("key") == END, F.col("n"))), F.lit(0))).first()
     frequent = {r["key"]: r["n"] for r in words.filter((F.col("n") >= F.lit(total * share)) & (F.col("key") != END)).collect()}  # at most 1 / share
@@ -285,15 +433,30 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_i
                 take = pa.array(owner, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(keys, pa.int64()), pa.array(times, pa.int64())], names=word_type.names)
 
+    def unshipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for every byte with its context of a text whose chance was not shipped."""
+        known = shipped.value[0]
+        for whole in batches:
+            for batch in _slices(whole, 2):
+                owner, keys, times = known.missing(batch.column(2))
+                take = pa.array(owner, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(keys, pa.int64()), pa.array(times, pa.int64())], names=word_type.names)
+
     keyed = rows.select("_id", F.xxhash64("_text").alias("_x"), "_text")
     rare = keyed.mapInArrow(others, word_type).join(words.select("key", F.col("n").alias("_c")), F.col("_key") == F.col("key"))
     rare = rare.select("_id", "_x", F.col("_times").alias("_m"), (F.col("_times") * F.log10(F.col("_c") + 1)).alias("_sum"))
+    rare = rare.withColumn("_deep", F.lit(0.0))
+    if deep is not None:
+        # bytes with rare contexts: their logs are summed as the words' are
+        gone = keyed.mapInArrow(unshipped, word_type).join(deep.select("key", "log"), F.col("_key") == F.col("key"))
+        rare = rare.unionByName(gone.select("_id", "_x", F.lit(0).cast("bigint").alias("_m"), F.lit(0.0).alias("_sum"), (F.col("_times") * F.col("log")).alias("_deep")))
     # a row of equal id and text stands for each of them: its words are counted once for each, so they are shared among them
     both = keyed.mapInArrow(heads, head_type).withColumn("_head", F.lit(1)).unionByName(rare.withColumn("_head", F.lit(0)), allowMissingColumns=True)
     summed = both.groupBy("_id", "_x").agg(
-        F.max("_n").alias("_n"), F.max("_bytes").alias("_bytes"), F.max("_score").alias("_score"), F.sum("_m").alias("_m"), F.sum("_sum").alias("_sum"), F.sum("_head").cast("int").alias("_copies")
+        F.max("_n").alias("_n"), F.max("_bytes").alias("_bytes"), F.max("_score").alias("_shipped"), F.sum("_m").alias("_m"), F.sum("_sum").alias("_sum"), F.sum("_deep").alias("_deep"), F.sum("_head").cast("int").alias("_copies")
     )
     single = summed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    single = single.withColumn("_score", F.col("_shipped") + F.coalesce(F.col("_deep"), F.lit(0.0)) / F.col("_copies"))
     divisor = float(total + distinct + 1)
     end_known = 1 if ends else 0
     return single.select(

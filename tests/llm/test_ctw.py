@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from mftlake.llm import ctw as W
 
@@ -143,3 +144,19 @@ def test_empty_tables(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     only = W.score(spark.createDataFrame([(held, "ab")], "doc_id long, text string")).first()
     assert only["_train_tokens"] == 0 and only["_n_known"] == 0 and math.isclose(only["_score"], 3 * math.log10(1 / 256), rel_tol=1e-6)
+
+
+def test_scores_are_of_the_whole_tree(spark, monkeypatch):
+    """All contexts count, however rare, and whether their chances are shipped or joined."""
+    learned = {i: TEXTS[i % len(TEXTS)] + (f" w{i}" if i % 7 == 0 else "") for i in range(40)}
+    asked = {1000: "abab w7", 1001: "zq\x00! the cat", 1002: "", 1003: "É the mat", 1004: "abba " * 30}
+    df = spark.createDataFrame([*learned.items(), *asked.items(), (1000, "abab w7"), (1005, None)], "doc_id long, text string")
+    small = [t for i, t in learned.items()]
+    for depth, shipped in ((4, 1 << 21), (4, 12), (1, 12), (0, 1 << 21)):
+        monkeypatch.setattr(W, "SHIPPED", shipped)
+        monkeypatch.setattr(W, "WEIGHED", 30)
+        plain = Plain(small, depth, float("inf"))
+        got = [(r["_id"], r["_score"]) for r in W.score(df, train_if=F.col("_id") < 1000, depth=depth).collect() if r["_id"] >= 1000]
+        assert sorted(i for i, _ in got) == [1000, 1000, 1001, 1002, 1003, 1004, 1005]
+        for i, x in got:
+            assert math.isclose(x, plain.score(asked.get(i, "")), rel_tol=1e-6, abs_tol=1e-6), (depth, shipped, i)
