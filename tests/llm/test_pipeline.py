@@ -56,3 +56,21 @@ def test_stages_keep_the_columns(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, docs.limit(40), str(tmp_path)).columns == docs.columns
+
+
+def test_encoding_verifies_every_chunk(spark, monkeypatch):
+    """What the stage's workers encode with holds each distinct chunk against the sentencepiece library."""
+    coder, asked = codec._codec(codec._model_bytes(codec.MODEL)), []
+    judge = coder.judge
+
+    class Listening:
+        def encode(self, chunks, num_threads):
+            asked.extend(chunks)
+            return judge.encode(chunks, num_threads=num_threads)
+
+    monkeypatch.setattr(coder, "judge", Listening())
+    coder.known.clear()
+    coder.encode(codec.pa.array(["one two three", "two four", None]))
+    assert sorted(asked) == [" four", " one", " three", " two"]
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    assert P.encoding_stage(spark, docs, "").first()["n_differing"] == 0
