@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,8 @@ from .common import pick, read
 #: where the public vocabularies are; a parameter of everything below
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: bytes of text that are encoded at a time, and chunks whose ids a worker remembers; both bound its memory
-SLICE_BYTES, REMEMBERED = 2 << 20, 60_000
+#: bytes of text that are encoded at a time, chunks whose ids a worker remembers, and chunks that go to the libraries at a time; all bound its memory
+SLICE_BYTES, REMEMBERED, AT_ONCE = 1 << 20, 60_000, 4_096
 #: one chunk in so many is verified against the sentencepiece library: all are, so that differences are counted over whole texts
 VERIFIED = 1
 UNIGRAM, BPE = 1, 2
@@ -31,7 +32,8 @@ class Codec:
 
     A text is normalised by the model's own character map, its spaces are escaped as metaspace marks and one is put before it
     where the model says so. As no piece holds a mark after another character, no piece spans the place before a run of
-    marks: texts are parted there, and each distinct chunk of a slice is encoded once, in batches on all threads. Parity with the sentencepiece
+    marks: texts are parted there, and each distinct chunk of a slice is encoded once, in batches, on one thread as a task has one core (TOKENIZERS_PARALLELISM
+    says otherwise where it is set). Parity with the sentencepiece
     library is verified on every chunk, or, where ``verify`` says so, on those whose checksum is a multiple of it, and differences are counted; the ids
     are always the tokenizers library's.
     """
@@ -41,7 +43,7 @@ class Codec:
         from sentencepiece import sentencepiece_model_pb2 as proto
         from tokenizers import Tokenizer, models, normalizers
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         spec = proto.ModelProto()
         spec.ParseFromString(model)
         kind, norm = spec.trainer_spec.model_type, spec.normalizer_spec
@@ -75,7 +77,8 @@ class Codec:
         surface[self.unknown] = " ⁇ ".encode()
         self.surface = pa.array(surface, pa.binary())
         self.verify = verify
-        self.known: dict[str, list[int]] = {}
+        # ids as the bytes of 32-bit integers
+        self.known: dict[str, bytes] = {}
         self.differing: set[str] = set()
 
     def normalise(self, text: str | None) -> str:
@@ -88,17 +91,22 @@ class Codec:
             text = " ".join(x for x in text.split(" ") if x)
         return " " + text if self.dummy_prefix and text else text
 
-    def _chunk_ids(self, chunks: list[str]) -> list[list[int]]:
+    def forget(self) -> None:
+        """Forgets what is remembered of chunks."""
+        self.known.clear()
+        self.differing.clear()
+
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
         new = [c for c in chunks if c not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            self.differing.clear()
+            self.forget()
             new = chunks
-        if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update((c, e.ids) for c, e in zip(new, found))
-            verified = [c for c in new if zlib.crc32(c.encode()) % self.verify == 0]
-            self.differing.update(c for c, ids in zip(verified, self.judge.encode(verified, num_threads=1)) if ids != self.known[c])
+        for at in range(0, len(new), AT_ONCE):
+            part = new[at : at + AT_ONCE]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update((c, array("i", e.ids).tobytes()) for c, e in zip(part, found))
+            verified = [c for c in part if zlib.crc32(c.encode()) % self.verify == 0]
+            self.differing.update(c for c, ids in zip(verified, self.judge.encode(verified, num_threads=1)) if array("i", ids).tobytes() != self.known[c])
         return [self.known[c] for c in chunks]
 
     def encode(self, texts: pa.Array) -> tuple[pa.ListArray, pa.Array, pa.Array, np.ndarray]:
@@ -126,14 +134,16 @@ class Codec:
         coded = chunks.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         ids = self._chunk_ids(distinct)
-        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
-        table = pa.ListArray.from_arrays(np.append(0, np.cumsum(lengths)).astype(np.int32), np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum())))
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        table = pa.ListArray.from_arrays(np.append(0, np.cumsum(lengths)).astype(np.int32), np.frombuffer(b"".join(ids), np.int32))
         flat = table.take(coded.indices).flatten()
         taken = np.append(0, np.cumsum(lengths[coded.indices.to_numpy()], dtype=np.int64))
         bounds = taken[np.searchsorted(starts, ends)].astype(np.int32)
         decoded = self._decode_flat(flat, bounds)
         same = pc.equal(decoded.cast(pa.binary()), plain.cast(pa.binary()))
         differs = np.append(0, np.cumsum(np.fromiter((c in self.differing for c in distinct), np.int64, len(distinct))[coded.indices.to_numpy()]))
+        if len(self.known) > REMEMBERED:
+            self.forget()
         return pa.ListArray.from_arrays(bounds, flat), decoded, same, np.diff(differs[np.searchsorted(starts, ends)])
 
     def _decode_flat(self, flat: pa.Array, bounds: np.ndarray) -> pa.Array:
@@ -194,6 +204,8 @@ def encode(df: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_
             for batch in _slices(whole, 1):
                 ids, _, same, differing = codec.encode(pa.concat_arrays([batch.column(1)]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids, same, pa.array(differing, pa.int64())], names=["_id", "_ids", "_round_trip", "_differing"])
+        # the worker lives on, beside the next stage's work
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)
 

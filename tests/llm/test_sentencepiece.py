@@ -109,3 +109,27 @@ def test_every_chunk_is_verified_unless_told_otherwise(both, made):
         codec.known.clear()
         codec.differing.clear()
     assert differing.tolist() == [64, 1, 0]
+
+
+def test_memory_is_bounded_for_many_distinct_chunks(both):
+    """The libraries get few chunks at a time, and no more than REMEMBERED are kept, however many one call has."""
+    codec, sizes = P.Codec(P._model_bytes(P.MODEL)), []
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode(self, chunks, **options):
+            sizes.append(len(chunks))
+            return self.inner.encode(chunks, **options)
+
+        def encode_batch_fast(self, chunks, **options):
+            sizes.append(len(chunks))
+            return self.inner.encode_batch_fast(chunks, **options)
+
+    codec.tokenizer, codec.judge = Counting(codec.tokenizer), Counting(codec.judge)
+    text = " ".join(f"{i:x}q" for i in range(70_000))
+    ids, _, same, differing = codec.encode(pa.array([text, "one two"]))
+    assert max(sizes) <= 5_000 and sum(sizes) == 2 * 70_002
+    assert len(codec.known) <= P.REMEMBERED
+    assert ids.to_pylist() == both[1].encode([text, "one two"]) and same.to_pylist() == [True, True] and not differing.any()
