@@ -20,7 +20,7 @@ from .common import pick, read
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: bytes of text that are encoded at a time, chunks whose ids a worker remembers, and chunks that go to the libraries at a time; all bound its memory
-SLICE_BYTES, REMEMBERED, AT_ONCE = 1 << 20, 60_000, 4_096
+SLICE_BYTES, REMEMBERED, AT_ONCE = 1 << 20, 240_000, 4_096
 #: one chunk in so many is verified against the sentencepiece library: all are, so that differences are counted over whole texts
 VERIFIED = 1
 UNIGRAM, BPE = 1, 2

@@ -111,8 +111,9 @@ def test_every_chunk_is_verified_unless_told_otherwise(both, made):
     assert differing.tolist() == [64, 1, 0]
 
 
-def test_memory_is_bounded_for_many_distinct_chunks(both):
+def test_memory_is_bounded_for_many_distinct_chunks(both, monkeypatch):
     """The libraries get few chunks at a time, and no more than REMEMBERED are kept, however many one call has."""
+    monkeypatch.setattr(P, "REMEMBERED", 60_000)
     codec, sizes = P.Codec(P._model_bytes(P.MODEL)), []
 
     class Counting:
